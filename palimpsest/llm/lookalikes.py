@@ -33,6 +33,7 @@ TO_LATIN = {k: v for pairs in LOOKALIKES.values() for k, v in pairs.items()}
 FROM_LATIN = {
     script: {v: k for k, v in reversed(pairs.items())} for script, pairs in LOOKALIKES.items() if script != "LATIN"
 }
+DISGUISED = {v for pairs in FROM_LATIN.values() for v in pairs}
 # Hyphens, and marks that are not printed though their category is not Cf.
 HYPHENS = "‐‑"
 UNPRINTED = "͏ᅟᅠ឴឵᠎"
@@ -103,11 +104,9 @@ def dissect(text: str) -> list[tuple[str, list[str]]]:
     """The folded text in pieces, each with the repairs to look up for it; one piece if nothing is suspicious."""
     text = fold(text)
     count: dict[str, int] = {}
-    for c in text:
-        if c.isalpha():
-            count[script(c)] = count.get(script(c), 0) + 1
-    for s in ("CJK",):
-        count.pop(s, None)
+    for c in text:  # letters that another script shares tell nothing: a disguised title holds hundreds of them
+        if c.isalpha() and c not in TO_LATIN and c not in DISGUISED and (s := script(c)) != "CJK":
+            count[s] = count.get(s, 0) + 1
     around = max(sorted(count), key=lambda s: (count[s], s == "LATIN")) if count else "LATIN"
     pieces: list[tuple[str, list[str]]] = []
     at = 0

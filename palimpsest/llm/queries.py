@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palimpsest.llm import components, encode, lookalikes
+from palimpsest.llm import canonical, components, encode, lookalikes
 from palimpsest.runtime import table
 
 
+def p1_canonical(spark, d):
+    return canonical.canonical_records(table(spark, d, "dedup_clusters"), table(spark, d, "paper_sources"))
+
+
+def p1_found(spark, d):
+    kept = canonical.survivors(table(spark, d, "dedup_clusters"), table(spark, d, "paper_sources"))
+    return kept.where("members > 1 AND holders = 1 AND certain").select(
+        "cluster_id", F.col("field").alias("field_name"), F.col("holder").alias("paper_id")
+    )
+
+
 def p2_normalized(spark, d):
     papers = table(spark, d, "paper_records").select("paper_id", "title").distinct()
     forms = lookalikes.one_form(papers, "title")
@@ -37,5 +48,5 @@ def p7_ids(spark, d):
     return encode.encode_column(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_normalized, p2_found, p5_found, p7_ids)}
+QUERIES = {f.__name__: f for f in (p1_canonical, p1_found, p2_normalized, p2_found, p5_found, p7_ids)}
 SQL = {"p5_found": P5_SQL}
