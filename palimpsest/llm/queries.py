@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palimpsest.llm import canonical, components, encode, lookalikes
+from palimpsest.llm import canonical, components, encode, lookalikes, vectors
 from palimpsest.runtime import table
 
 
@@ -44,9 +44,29 @@ SELECT a AS paper_id, min(b) AS group_id FROM reach GROUP BY a
 """
 
 
+def p6_neighbours(spark, d):
+    return vectors.nearest(table(spark, d, "vector_snapshot"), "input_id", "vector").toDF("input_id", "neighbour_id", "cosine")
+
+
+def p6_found(spark, d):
+    near = vectors.nearest(table(spark, d, "vector_snapshot"), "input_id", "vector").where("cosine >= 0.9")
+    return near.select(F.least("a", "b").alias("input_id_a"), F.greatest("a", "b").alias("input_id_b")).distinct()
+
+
+P6_SQL = """
+WITH ok AS (
+  SELECT input_id, min(vector) v FROM vector_snapshot
+  WHERE input_id IS NOT NULL AND len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+    AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY input_id),
+s AS (SELECT a.input_id a, b.input_id b, round(list_cosine_similarity(a.v, b.v), 12) c FROM ok a JOIN ok b ON a.input_id <> b.input_id),
+r AS (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) n FROM s)
+SELECT DISTINCT least(a, b) AS input_id_a, greatest(a, b) AS input_id_b FROM r WHERE n <= 5 AND c >= 0.9
+"""
+
+
 def p7_ids(spark, d):
     return encode.encode_column(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_canonical, p1_found, p2_normalized, p2_found, p5_found, p7_ids)}
-SQL = {"p5_found": P5_SQL}
+QUERIES = {f.__name__: f for f in (p1_canonical, p1_found, p2_normalized, p2_found, p5_found, p6_neighbours, p6_found, p7_ids)}
+SQL = {"p5_found": P5_SQL, "p6_found": P6_SQL}
