@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palimpsest.llm import canonical, components, encode, lookalikes, vectors
+from palimpsest.llm import canonical, components, encode, lookalikes, quality, vectors
 from palimpsest.runtime import table
 
 
@@ -68,5 +68,14 @@ def p7_ids(spark, d):
     return encode.encode_column(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_canonical, p1_found, p2_normalized, p2_found, p5_found, p6_neighbours, p6_found, p7_ids)}
+def p9_quality(spark, d):
+    return quality.outlierness(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "common_words"))
+
+
+def p9_found(spark, d):
+    far = quality.outlierness(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "common_words"))
+    return far.where("outlier AND kind <> 'prose'").select("doc_id", "kind")
+
+
+QUERIES = {f.__name__: f for f in (p1_canonical, p1_found, p2_normalized, p2_found, p5_found, p6_neighbours, p6_found, p7_ids, p9_quality, p9_found)}
 SQL = {"p5_found": P5_SQL, "p6_found": P6_SQL}
