@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palimpsest.llm import canonical, components, encode, lookalikes, quality, vectors
-from palimpsest.runtime import table
+from palimpsest.llm import canonical, components, encode, lookalikes, packing, quality, vectors
+from palimpsest.runtime import Scratch, table
 
 
 def p1_canonical(spark, d):
@@ -68,6 +68,20 @@ def p7_ids(spark, d):
     return encode.encode_column(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p8_packing(spark, d):
+    """(budget_name, doc_id, part, tokens, container_id) for the capacity of every row of pack_budgets."""
+    sizes = encode.encode_column(table(spark, d, "documents"), "doc_id", "text", only_count=True)
+    sizes = Scratch(spark, "sizes").cut(sizes, "tokens")
+    budgets = table(spark, d, "pack_budgets").where("capacity_tokens > 0").select("budget_name", "capacity_tokens").distinct()
+    out = None
+    for b in budgets.orderBy("budget_name", "capacity_tokens").collect():  # a few capacities
+        one = packing.pack(sizes, "doc_id", "tokens", b["capacity_tokens"]).select(
+            F.lit(b["budget_name"]).alias("budget_name"), "doc_id", "part", "tokens", "container_id"
+        )
+        out = one if out is None else out.union(one)
+    return out
+
+
 def p9_quality(spark, d):
     return quality.outlierness(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "common_words"))
 
@@ -77,5 +91,5 @@ def p9_found(spark, d):
     return far.where("outlier AND kind <> 'prose'").select("doc_id", "kind")
 
 
-QUERIES = {f.__name__: f for f in (p1_canonical, p1_found, p2_normalized, p2_found, p5_found, p6_neighbours, p6_found, p7_ids, p9_quality, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_canonical, p1_found, p2_normalized, p2_found, p5_found, p6_neighbours, p6_found, p7_ids, p8_packing, p9_quality, p9_found)}
 SQL = {"p5_found": P5_SQL, "p6_found": P6_SQL}
