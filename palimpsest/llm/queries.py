@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palimpsest.llm import canonical, components, encode, lookalikes, packing, quality, vectors
+from palimpsest.llm import canonical, components, encode, lookalikes, names, packing, quality, vectors
 from palimpsest.runtime import Scratch, table
 
 
@@ -34,6 +34,16 @@ def p5_found(spark, d):
     return components.connected_groups(links).toDF("paper_id", "group_id")
 
 
+def p3_entities(spark, d):
+    authors = table(spark, d, "paper_records").select(F.explode("authors").alias("name"))
+    return names.entities(authors, "name")
+
+
+def p3_found(spark, d):
+    authors = table(spark, d, "paper_records").select(F.explode("authors").alias("name"))
+    return names.same_entity(authors, "name").toDF("name_a", "name_b")
+
+
 P5_SQL = """
 WITH RECURSIVE e AS (
   SELECT DISTINCT left_paper_id a, right_paper_id b FROM dedup_decisions
@@ -91,5 +101,5 @@ def p9_found(spark, d):
     return far.where("outlier AND kind <> 'prose'").select("doc_id", "kind")
 
 
-QUERIES = {f.__name__: f for f in (p1_canonical, p1_found, p2_normalized, p2_found, p5_found, p6_neighbours, p6_found, p7_ids, p8_packing, p9_quality, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_canonical, p1_found, p2_normalized, p2_found, p3_entities, p3_found, p5_found, p6_neighbours, p6_found, p7_ids, p8_packing, p9_quality, p9_found)}
 SQL = {"p5_found": P5_SQL, "p6_found": P6_SQL}
