@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palimpsest.llm import canonical, components, encode, lookalikes, names, packing, quality, vectors
+from palimpsest.llm import canonical, components, encode, linkage, lookalikes, names, packing, quality, vectors
 from palimpsest.runtime import Scratch, table
 
 
@@ -44,6 +44,15 @@ def p3_found(spark, d):
     return names.same_entity(authors, "name").toDF("name_a", "name_b")
 
 
+def p4_links(spark, d):
+    linked = linkage.link(table(spark, d, "paper_records"), table(spark, d, "catalog_records"), "paper_id", "catalog_no")
+    return linked.select(F.col("l").alias("paper_id"), F.col("r").cast("long").alias("catalog_no"), "confidence")
+
+
+def p4_found(spark, d):
+    return p4_links(spark, d).select("paper_id", "catalog_no")
+
+
 P5_SQL = """
 WITH RECURSIVE e AS (
   SELECT DISTINCT left_paper_id a, right_paper_id b FROM dedup_decisions
@@ -101,5 +110,5 @@ def p9_found(spark, d):
     return far.where("outlier AND kind <> 'prose'").select("doc_id", "kind")
 
 
-QUERIES = {f.__name__: f for f in (p1_canonical, p1_found, p2_normalized, p2_found, p3_entities, p3_found, p5_found, p6_neighbours, p6_found, p7_ids, p8_packing, p9_quality, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_canonical, p1_found, p2_normalized, p2_found, p3_entities, p3_found, p4_links, p4_found, p5_found, p6_neighbours, p6_found, p7_ids, p8_packing, p9_quality, p9_found)}
 SQL = {"p5_found": P5_SQL, "p6_found": P6_SQL}
