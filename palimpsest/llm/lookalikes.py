@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palimpsest.runtime import Scratch
+
 # Letters of other scripts that are printed like a Latin letter.
 LOOKALIKES = {
     "LATIN": {"ɡ": "g", "ɑ": "a", "ı": "i"},
@@ -145,9 +147,8 @@ def one_form(texts: DataFrame, column: str, vocabulary: DataFrame | None = None)
     spark = texts.sparkSession
     stored = texts.select(F.col(column).alias("stored")).where("stored IS NOT NULL").distinct()
     plain = F.col("stored").rlike(r"^[\x20-\x7e]*$")
-    cut = stored.where(~plain).withColumn("pieces", _dissect("stored"))
-    from palimpsest.runtime import Scratch
-
+    # pieces carry a number and not their text, which may be long and in thousands of pieces
+    cut = stored.where(~plain).withColumn("pieces", _dissect("stored")).withColumn("no", F.monotonically_increasing_id())
     cut = Scratch(spark, "one-form").cut(cut, "pieces")
     whole = F.array_join(F.col("pieces.piece"), "")
     if vocabulary is None:
@@ -156,22 +157,22 @@ def one_form(texts: DataFrame, column: str, vocabulary: DataFrame | None = None)
     else:
         words = vocabulary.toDF("word").select(F.lower("word").alias("word"))
     words = words.where("word <> ''").distinct()
-    pieces = cut.select("stored", F.posexplode("pieces").alias("pos", "p")).select("stored", "pos", "p.piece", "p.tries")
+    suspicious = cut.where(F.exists("pieces", lambda p: F.size(p["tries"]) > 0))
+    pieces = suspicious.select("no", F.posexplode("pieces").alias("pos", "p")).select("no", "pos", "p.piece", "p.tries")
     asked = pieces.where(F.size("tries") > 0).select("piece", F.posexplode("tries").alias("rank", "try")).distinct()
     granted = (
         asked.join(words, F.lower("try") == F.col("word"), "left_semi")
         .groupBy("piece")
         .agg(F.min(F.struct("rank", "try"))["try"].alias("repaired"))
     )
-    suspicious = cut.where(F.exists("pieces", lambda p: F.size(p["tries"]) > 0))
-    repaired = (
-        suspicious.select("stored", F.posexplode("pieces").alias("pos", "p"))
-        .select("stored", "pos", F.col("p.piece").alias("piece"))
+    rebuilt = (
+        pieces.select("no", "pos", "piece")
         .join(granted, "piece", "left")
-        .groupBy("stored")
+        .groupBy("no")
         .agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("repaired", "piece").alias("piece")))).alias("a"))
-        .select("stored", F.array_join(F.col("a.piece"), "").alias("form"))
+        .select("no", F.array_join(F.col("a.piece"), "").alias("form"))
     )
+    repaired = suspicious.select("no", "stored").join(rebuilt, "no").select("stored", "form")
     return (
         stored.where(plain)
         .select("stored", F.col("stored").alias("form"))
