@@ -29,7 +29,7 @@ def intents(questions: DataFrame) -> DataFrame:
     return questions.where((F.size(words(method)) >= 2) & (F.size(words(task)) >= 2)).select(
         "question_id",
         F.array_distinct(F.concat(F.array(body), words(body))).alias("object"), F.array(F.element_at(words(task), -1)).alias("task"),
-        F.array_distinct(F.concat(F.array(method), words(method))).alias("method"), F.array_distinct(F.concat(F.array(F.lit("support")), words(task))).alias("scope"),
+        F.array_distinct(F.concat(F.array(method), words(method))).alias("method"), F.array(F.lit("support"), task).alias("scope"),
     )
 
 
