@@ -30,6 +30,10 @@ NAVIGATION = (
     "|首页|登录|注册|购物车|分享|导出|引用|帮助|菜单|搜索|上一页|下一页|返回|更多|收藏|打印|下载"
 )
 PAGE = r"(?i)\bcookies (?:are|is) (?:needed|used|required)|\bsign in or buy\b|enable javascript|all rights reserved\.?\s*$|subscribe to our newsletter"
+UNPLAIN = (
+    r"^\s*(?:[^\p{L}]|[A-Z]{2}|[A-Z]\d|\p{IsHan}\d|第|[一二三四五六七八九十]{1,3}[、.．]|[a-zA-Z][.)）]|[ivxIVX]{1,5}[.)])|[|\t{}<>=\\\[\]]|\.\.|…|\d{4}|:\s*[\"“(]|\s{2}"
+    r"|(?i:cookies|sign in|javascript|rights reserved|newsletter|keyword|key words|index terms|关键|主题词)"
+)
 PUNCTUATED = r"[.!?。！？…:：][\s\])}\"'”’」]*$"
 BULLET = (
     r"^\s*(?:(?:[-*•·–—▪◦‣●○■□☐☑☒✓✔➤]|\[[ xX✓]?\])\s*(?=\S)|\[\d{1,4}\]\s+\S|[一二三四五六七八九十]{1,3}[、.．]|第\S{1,4}[章节条])"
@@ -54,20 +58,20 @@ def _without(text: Column, pattern: str) -> Column:
 
 
 def line_facts(line: Column, common_en: str, common_zh: str) -> Column:
-    """What is counted in one line."""
+    """What is counted in one line; a line of ASCII (as many bytes as characters) is not searched for anything else."""
+    ascii_ = F.length(line) == F.octet_length(line)
     return F.struct(
         line.alias("t"),
         F.length(line).alias("n"),
-        _without(line, r"[^\p{IsHan}]").alias("other"),
-        _without(line, r"\p{IsHan}").alias("han"),
+        F.when(ascii_, 0).otherwise(_without(line, r"\p{IsHan}")).alias("han"),
         _without(line, r"[\s\p{Z}]").alias("blank"),
         _without(line, r"\d").alias("digits"),
         _without(line, r"[^\p{L}\p{M}\p{N}\s.,;:!?'\"()\-–—%°。，；：！？、（）“”‘’《》]").alias("symbols"),
-        _without(line, "[\\u0080-\\u00bf\\u00c2\\u00c3\\u00e2-\\u00ef\\u20ac\\ufffd]").alias("misread"),
+        F.when(ascii_, 0).otherwise(_without(line, "[\\u0080-\\u00bf\\u00c2\\u00c3\\u00e2-\\u00ef\\u20ac\\ufffd]")).alias("misread"),
         _count(line, r"\S+").alias("tokens"),
         _count(line, r"(?<!\S)[(\"“'\[]*\p{L}[\p{L}\p{M}'’]*(?:-\p{L}[\p{L}\p{M}]*)*[.,;:!?)\"”'\]]*(?!\S)").alias("words"),
         (_count(F.lower(line), rf"(?<![\p{{L}}\p{{N}}])(?:{common_en})(?![\p{{L}}\p{{N}}])") if common_en else F.lit(0)).alias("common"),
-        (_count(line, common_zh) if common_zh else F.lit(0)).alias("common_zh"),
+        (F.when(ascii_, 0).otherwise(_count(line, common_zh)) if common_zh else F.lit(0)).alias("common_zh"),
         _without(line, r"\S{30,}").alias("long"),
     )
 
@@ -127,8 +131,11 @@ def line_kind(f: Column) -> Column:
     noise = latin & (ink >= 12) & (
         ((f["symbols"] * 9 > ink) & ((f["common"] * 6 < tokens) | (f["symbols"] * 4 > ink))) | ((words * 2 < tokens) & (f["common"] * 6 < tokens) & (tokens >= 3)) | (f["long"] * 2 > ink)
     )
+    # most lines are plain sentences: no rule but the last can hold for them, so they need not try the others
+    plain = ~t.rlike(UNPLAIN) & F.when(latin, (words >= 6) & (f["common"] * 6 >= tokens) & (words * 4 >= tokens * 3)).otherwise((han >= 12) & t.rlike("。"))
+    plain = plain & (f["misread"] == 0) & (f["symbols"] == 0) & (f["long"] == 0)
     return (
-        F.when(blank, "blank").when(border, "table").when(nav & (ink >= 2), "junk").when(hard, "junk").when(table, "table")
+        F.when(blank, "blank").when(plain, "prose").when(border, "table").when(nav & (ink >= 2), "junk").when(hard, "junk").when(table, "table")
         .when(items, "list").when(inline, "list").when(noise, "junk").when(talk | (ended & (words >= 4)), "prose")
         .otherwise("bare")
     )
