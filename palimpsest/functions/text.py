@@ -80,11 +80,11 @@ def canonical_arxiv_id(source: Column, source_id: Column) -> Column:
 
 def arxiv_id_of_url(url: Column) -> Column:
     """Identifier of an abstract page, null for any other address."""
-    path = F.parse_url(url, F.lit("PATH"))
+    path = F.try_parse_url(url, F.lit("PATH"))
     raw = F.substring(path, 6, 1_000)
     ok = (
-        F.parse_url(url, F.lit("PROTOCOL")).isin("http", "https") & (F.parse_url(url, F.lit("HOST")) == "arxiv.org")
-        & F.parse_url(url, F.lit("QUERY")).isNull() & F.parse_url(url, F.lit("REF")).isNull() & path.startswith("/abs/") & raw.rlike(ARXIV_ID)
+        F.try_parse_url(url, F.lit("PROTOCOL")).isin("http", "https") & (F.try_parse_url(url, F.lit("HOST")) == "arxiv.org")
+        & F.try_parse_url(url, F.lit("QUERY")).isNull() & F.try_parse_url(url, F.lit("REF")).isNull() & path.startswith("/abs/") & raw.rlike(ARXIV_ID)
     )
     return F.when(ok, F.regexp_replace(raw, r"v\d+$", ""))
 

@@ -13,7 +13,7 @@ def windowed(feedback: DataFrame, at: str = "ts", project: str = "user_id", widt
 
     Events without time or project count for nothing; on a stream, events older than the watermark are late.
     """
-    known = feedback.where(F.col(at).isNotNull() & F.col(project).isNotNull())
+    known = feedback.where(F.col(at).isNotNull() & F.col(project).isNotNull()).select(F.col(at).cast("timestamp").alias(at), project)
     counted = known.withWatermark(at, late).groupBy(F.window(at, width), F.col(project).alias("project")).agg(F.count("*").alias("n"))
     return counted.select("project", F.col("window.start").alias("window_start"), "n", (F.col("n") >= ENOUGH).alias("may_start"))
 

@@ -82,14 +82,17 @@ def test_calibration(spark):
 
 
 def test_planning(spark):
-    q = spark.createDataFrame([("1", "How can transfer learning support radiation shielding design?"), ("2", "What is this?"), ("3", None)], "question_id string, question string")
+    q = spark.createDataFrame([("1", "How can graph search support radiation shielding design?"), ("2", "What is this?"), ("3", None)], "question_id string, question string")
     i = planning.intents(q)
     assert [r.question_id for r in i.collect()] == ["1"]
     p = planning.plan(i).cache()
     assert p.count() == 12 and p.select("query_id").distinct().count() == 12 and abs(p.agg(F.sum("weight")).first()[0] - 1) < 1e-9
     text = {(r.branch, r.breadth): r.query_text for r in p.collect()}
-    assert text["METHOD_DOMAIN", "NARROW"] == 'all:"transfer learning" AND all:"design"' and '"domain adaptation"' in text["METHOD_DOMAIN", "WIDE"]
+    assert text["METHOD_DOMAIN", "NARROW"] == 'all:"graph search" AND all:"design"' and '"radiation protection"' not in text["PROBLEM_DOMAIN", "NARROW"]
+    assert text["DIRECT_INTERSECTION", "MEDIUM"].count("radiation protection") == 1 and '"optimization"' in text["DIRECT_INTERSECTION", "MEDIUM"]
     assert planning.plan_violations(p).count() == 0
+    twice = spark.createDataFrame([("1", "How can transfer learning support radiation shielding design?")], "question_id string, question string")
+    assert [r.problem for r in planning.plan_violations(planning.plan(planning.intents(twice))).collect()] == ["REPEATED_TERM"]  # transfer is a bridge term, too
     g = spark.createDataFrame([("p", "OBJECT", False, 1.0), ("p", "TASK", True, None), ("p", "EXCLUSIONS", True, None), ("p", "SCOPE", False, 0.0)], "project string, field string, missing boolean, confidence double")
     assert {r.field: round(r.priority, 6) for r in planning.gaps(g).collect()} == {"OBJECT": 0.0, "TASK": 0.825, "SCOPE": 0.35}
     kept, gone = planning.exclude(spark.createDataFrame([("p", "Graph  Search"), ("p", "graph")], "project string, term string"), spark.createDataFrame([("p", "graph search")], "project string, term string"))
