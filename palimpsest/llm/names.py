@@ -173,8 +173,8 @@ def entities(entries: DataFrame, column: str) -> DataFrame:
       give one row; other columns are ignored; an empty table gives an empty result;
     - two persons of one family name stay apart unless their given names are equal, a known short form, or one
       edit apart; middle initials, where both are given, must agree;
-    - initials join the one bearer of the family name whom they fit; where they fit several, they stay alone
-      with their equals in writing; an entry may have any length.
+    - initials join the one bearer of the family name whom they fit; where they fit several, each entry stays
+      alone; where they fit none, equal initials of a family name are one; an entry may have any length.
     """
     spark = entries.sparkSession
     keep = Scratch(spark, "names")
@@ -229,7 +229,8 @@ def entities(entries: DataFrame, column: str) -> DataFrame:
     lost = short.join(direct.select("name"), "name", "left_anti")
     guessed = fitting(lost.join(near.toDF("f", "u"), "f").select("name", F.col("u").alias("f"), "letters"))
     resolved = keep.cut(direct.unionByName(guessed), "resolved")
-    alone = short.join(resolved.where("n > 0").select("name"), "name", "left_anti").select("name", F.concat_ws("~", "f", "letters").alias("entity"))
+    unclear = resolved.where("n > 1").select("name", F.concat_ws("?", F.lit(""), "name").alias("entity"))
+    alone = short.join(resolved.select("name"), "name", "left_anti").select("name", F.concat_ws("~", "f", "letters").alias("entity")).union(unclear)
     # organisations: the coined word is the one that fewest organisations share, misspellings aside
     orgs = names.where("kind = 'org'").select("name", F.posexplode("words").alias("pos", "raw")).withColumn("t", F.regexp_replace("raw", r"\.$", ""))
     df = orgs.groupBy("t").agg(F.count_distinct("name").alias("df"))
