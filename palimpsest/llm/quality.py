@@ -84,6 +84,7 @@ def line_kind(f: Column) -> Column:
     blank = ink == 0
     nav = F.length(F.regexp_replace(t, rf"(?i)(?<![\p{{L}}])(?:{NAVIGATION})(?![\p{{L}}])|[\s>|/·•«»‹›\d,:-]+", "")) == 0
     border = t.rlike(r"^\s*(?:\+[-=]+[-=+]*\+|\|[-:| ]+\|)\s*$")
+    repeated = t.rlike(r"^\s*(\S.{2,80}?)\s*\1\s*\1\s*\1\s*\1")
     no_text = ~t.rlike(r"[\p{L}\p{N}]")
     hard = (
         (f["misread"] * 8 >= ink) & (f["misread"] >= 3)
@@ -94,7 +95,7 @@ def line_kind(f: Column) -> Column:
         | (t.rlike(r"(?i)</?(?:div|span|script|style|meta|link|img|br|ul|li|p|a|nav|iframe)\b") & ~t.rlike(r"(?i)<t[rdh]\b"))
         | (t.rlike(r"^\s*[\[{]") & (_count(t, r"\"\s*:") >= 2))
         | (no_text & (ink >= 3))
-        | t.rlike(r"^\s*(\S.{2,80}?)\s*\1\s*\1\s*\1\s*\1")
+        | repeated
         | t.rlike(PAGE)
     )
     cells = lambda sep: F.size(F.split(t, sep))
@@ -133,7 +134,7 @@ def line_kind(f: Column) -> Column:
     )
     # most lines are plain sentences: no rule but the last can hold for them, so they need not try the others
     plain = ~t.rlike(UNPLAIN) & F.when(latin, (words >= 6) & (f["common"] * 6 >= tokens) & (words * 4 >= tokens * 3)).otherwise((han >= 12) & t.rlike("。"))
-    plain = plain & (f["misread"] == 0) & (f["symbols"] == 0) & (f["long"] == 0)
+    plain = plain & (f["misread"] == 0) & (f["symbols"] == 0) & (f["long"] == 0) & ~repeated
     return (
         F.when(blank, "blank").when(plain, "prose").when(border, "table").when(nav & (ink >= 2), "junk").when(hard, "junk").when(table, "table")
         .when(items, "list").when(inline, "list").when(noise, "junk").when(talk | (ended & (words >= 4)), "prose")
