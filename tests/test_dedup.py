@@ -83,3 +83,10 @@ def test_order_of_rows_does_not_matter(spark):
     rows = [paper(f"p{i}", f"title {i % 3} of a work", [f"A{i % 2}"]) for i in range(12)]
     assert clusters(spark, rows)[0] == clusters(spark, list(reversed(rows)))[0]
     assert len(list(itertools.chain(*clusters(spark, rows)[0].values()))) == 12
+
+
+def test_two_words_left_out_of_twenty_five(spark):
+    words = [f"w{i:02}" for i in range(25)]
+    rows = [paper("a", " ".join(words), ["Ada"]), paper("b", " ".join(words[:7] + words[8:19] + words[20:]), ["Ada"])]
+    n = dedup.normalise(dedup.coalesce_observations(spark.createDataFrame(rows, SCHEMA)))
+    assert {tuple(r) for r in dedup._similar_titles(n, None).collect()} == {("a", "b")} == {tuple(r) for r in dedup._similar_titles(n, "nauthors").collect()}
