@@ -1,9 +1,10 @@
 """Problem 9: statistics that tell natural prose from lists, tables and junk, and how far a text lies from prose.
 
-Every line is read once, by JVM expressions only, and given a kind; the statistics of a document follow
-from its lines. For each language the mean and covariance of prose are estimated robustly over all
-documents (concentration steps: fit, keep those within the chi-square bound, fit again), and every
-document gets its squared Mahalanobis distance with the share of each statistic in it.
+Every line is read once, by JVM expressions only: its characters and words are counted, and lines in the form of an
+item, a row of cells or machine output are told from open text. For each language and class of length the mean and
+covariance of the statistics are estimated robustly over all documents (medians and median deviations first, then
+concentration steps until no document changes sides), and every document gets its squared Mahalanobis distance with
+the share of each statistic in it. What holds no form and lies far from prose is junk.
 """
 
 from __future__ import annotations
@@ -15,13 +16,14 @@ from pyspark.sql import functions as F
 from palimpsest.runtime import Scratch, spread
 
 STATISTICS = (
-    "log_words", "mean_word_length", "symbol_ratio", "digit_ratio", "ended_line_share", "common_word_share",
-    "list_share", "table_share", "junk_share", "long_token_share",
+    "punctuation_ratio", "mean_word_length", "symbol_ratio", "digit_ratio", "ended_share", "common_word_share",
+    "word_share", "repeated_share", "misread_ratio", "long_token_share",
 )
 # Chi-square quantiles (0.975, 0.999) with len(STATISTICS) = 10 degrees of freedom.
 TRIM, BOUND = 20.48, 29.59
-ROUNDS = 3
-RIDGE = 1e-4
+# Least standard deviation of each statistic; lines may be wrapped or not, so their ends say least.
+SPREAD = (0.02, 0.1, 0.02, 0.05, 0.35, 0.05, 0.05, 0.1, 0.02, 0.05)
+LENGTHS = {"en": (60, 250, 1200), "zh": (25, 100, 500)}  # classes of length in characters: shares of a short text scatter more
 
 # What page navigation consists of.
 NAVIGATION = (
@@ -34,6 +36,7 @@ UNPLAIN = (
     r"^\s*(?:[^\p{L}]|[A-Z]{2}|[A-Z]\d|\p{IsHan}\d|第|[一二三四五六七八九十]{1,3}[、.．]|[a-zA-Z][.)）]|[ivxIVX]{1,5}[.)])|[|\t{}<>=\\\[\]]|\.\.|…|\d{4}|:\s*[\"“(]|\s{2}"
     r"|(?i:cookies|sign in|javascript|rights reserved|newsletter|keyword|key words|index terms|关键|主题词)"
 )
+REPEATED = r"^\s*(\S.{2,80}?)\s*\1\s*\1\s*\1\s*\1"
 PUNCTUATED = r"[.!?。！？…:：][\s\])}\"'”’」]*$"
 BULLET = (
     r"^\s*(?:(?:[-*•·–—▪◦‣●○■□☐☑☒✓✔➤]|\[[ xX✓]?\])\s*(?=\S)|\[\d{1,4}\]\s+\S|[一二三四五六七八九十]{1,3}[、.．]|第\S{1,4}[章节条])"
@@ -65,6 +68,8 @@ def line_facts(line: Column, common_en: str, common_zh: str) -> Column:
         F.length(line).alias("n"),
         F.when(ascii_, 0).otherwise(_without(line, r"\p{IsHan}")).alias("han"),
         _without(line, r"[\s\p{Z}]").alias("blank"),
+        line.rlike(r"[\p{L}\p{N}]").alias("text"),
+        _without(line, r"[.,;:!?。，；：！？、]").alias("stops"),
         _without(line, r"\d").alias("digits"),
         _without(line, r"[^\p{L}\p{M}\p{N}\s.,;:!?'\"()\-–—%°。，；：！？、（）“”‘’《》]").alias("symbols"),
         F.when(ascii_, 0).otherwise(_without(line, "[\\u0080-\\u00bf\\u00c2\\u00c3\\u00e2-\\u00ef\\u20ac\\ufffd]")).alias("misread"),
@@ -77,25 +82,19 @@ def line_facts(line: Column, common_en: str, common_zh: str) -> Column:
 
 
 def line_kind(f: Column) -> Column:
-    """prose, list, table, junk, bare (short, unended) or blank."""
+    """list, table or junk (machine output) by its form, bare (short, unended), blank, or open: any other text."""
     t, n, tokens, words, han = f["t"], f["n"], f["tokens"], f["words"], f["han"]
     ink = n - f["blank"]
     latin = han * 3 < ink
     blank = ink == 0
     nav = F.length(F.regexp_replace(t, rf"(?i)(?<![\p{{L}}])(?:{NAVIGATION})(?![\p{{L}}])|[\s>|/·•«»‹›\d,:-]+", "")) == 0
     border = t.rlike(r"^\s*(?:\+[-=]+[-=+]*\+|\|[-:| ]+\|)\s*$")
-    repeated = t.rlike(r"^\s*(\S.{2,80}?)\s*\1\s*\1\s*\1\s*\1")
-    no_text = ~t.rlike(r"[\p{L}\p{N}]")
     hard = (
-        (f["misread"] * 8 >= ink) & (f["misread"] >= 3)
-        | t.rlike(r"^\s*\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d\S* ")
+        t.rlike(r"^\s*\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d\S* ")
         | t.rlike(r"^[0-9a-fA-F]{6,16}:?\s+(?:[0-9a-fA-F]{2,4}\s+){3}")
         | t.rlike(r"^\s*Traceback \(|^\s*File \"[^\"]*\", line \d+|^\s+at [\w.$<>]+\(|^\s{2,}\w+ = \w+(?:\[\d+\])?\.\w+\(|^\w+(?:Error|Exception)\b")
-        | (latin & t.rlike(r"[A-Za-z0-9+/=_\-]{45,}") & (f["long"] * 2 > ink))
         | (t.rlike(r"(?i)</?(?:div|span|script|style|meta|link|img|br|ul|li|p|a|nav|iframe)\b") & ~t.rlike(r"(?i)<t[rdh]\b"))
         | (t.rlike(r"^\s*[\[{]") & (_count(t, r"\"\s*:") >= 2))
-        | (no_text & (ink >= 3))
-        | repeated
         | t.rlike(PAGE)
     )
     cells = lambda sep: F.size(F.split(t, sep))
@@ -122,31 +121,28 @@ def line_kind(f: Column) -> Column:
         | t.rlike(NUMBERED) & ~(talk & latin)  # a wrapped sentence may begin with a number
     )
     ended = t.rlike(r"[.!?。！？]\s*$")
-    inline = lean & (
+    inline = lean & F.when(latin, (f["symbols"] * 10 < ink) & (words * 2 + 1 >= tokens)).otherwise(f["symbols"] * 3 < ink) & (
         (cells(r"\s+[/|·•>→]\s+") >= 4)
         | ((cells(r"\s*[;；]\s*") >= 4) & ~t.rlike(r"[。]"))
         | ((cells(r"\s*,\s+") >= 6) & (f["common"] * 20 < F.greatest(tokens, F.lit(1))) & latin)
         | (~latin & (cells("[、，,/|·；]") >= 5) & (_count(t, "[。！？]") == 0) & (f["common_zh"] * 40 < han))
         | t.rlike(r"(?i)^\s*(?:keywords?|key words|index terms|tags|topics|关键词|关键字|主题词)\s*[:：]")
     )
-    noise = latin & (ink >= 12) & (
-        ((f["symbols"] * 9 > ink) & ((f["common"] * 6 < tokens) | (f["symbols"] * 4 > ink))) | ((words * 2 < tokens) & (f["common"] * 6 < tokens) & (tokens >= 3)) | (f["long"] * 2 > ink)
-    )
     # most lines are plain sentences: no rule but the last can hold for them, so they need not try the others
     plain = ~t.rlike(UNPLAIN) & F.when(latin, (words >= 6) & (f["common"] * 6 >= tokens) & (words * 4 >= tokens * 3)).otherwise((han >= 12) & t.rlike("。"))
-    plain = plain & (f["misread"] == 0) & (f["symbols"] == 0) & (f["long"] == 0) & ~repeated
+    plain = plain & (f["misread"] == 0) & (f["symbols"] == 0) & (f["long"] == 0)
     return (
-        F.when(blank, "blank").when(plain, "prose").when(border, "table").when(nav & (ink >= 2), "junk").when(hard, "junk").when(table, "table")
-        .when(items, "list").when(inline, "list").when(noise, "junk").when(talk | (ended & (words >= 4)), "prose")
+        F.when(blank, "blank").when(plain, "open").when(border, "table").when(~f["text"], "open").when(nav & (ink >= 2), "junk").when(hard, "junk").when(table, "table")
+        .when(items, "list").when(inline, "list").when(talk | (ended & (words >= 4)) | (f["symbols"] * 10 >= ink) | (f["misread"] * 8 >= ink) | (words * 2 < tokens) | ~f["text"], "open")
         .otherwise("bare")
     )
 
 
 def profile(texts: DataFrame, key: str, column: str, common: DataFrame) -> DataFrame:
-    """(key, language, kind, the STATISTICS, chars of each kind), one row a document with anything in it.
+    """(key, language, length, form, the STATISTICS, chars of each form), one row a document with anything in it.
 
     ``language`` is zh where Han characters outnumber a third of the others, else en: the text decides, not
-    a label. ``kind`` is the kind of most characters outside headings. Null, empty and blank texts have no
+    a label. ``form`` is that of most characters outside headings. Null, empty and blank texts have no
     row; extra columns are ignored; texts of any length are read whole; an empty table gives no rows.
     """
     words = common.where("word IS NOT NULL AND lang IN ('en', 'zh')").groupBy("lang").agg(F.sort_array(F.collect_set(F.lower("word"))).alias("w"))
@@ -156,6 +152,10 @@ def profile(texts: DataFrame, key: str, column: str, common: DataFrame) -> DataF
     text = spread(texts.select(F.col(key).alias("k"), F.col(column).alias("text"))).where(F.col("text").rlike(r"[^\s\p{Z}]"))
     facts = text.select("k", F.transform(F.split("text", r"\r\n|\n|\r|\x{2028}|\x{0b}|\x0c"), lambda x: line_facts(x, en, zh)).alias("f"))
     facts = facts.select("k", F.filter("f", lambda x: x["n"] > x["blank"]).alias("f"))
+    # rules between lines of text are no part of it, unless they are most of it
+    ink = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x["n"] - x["blank"])
+    said = F.filter("f", lambda x: x["text"])
+    facts = facts.select("k", F.when(ink(said) * 2 >= ink(F.col("f")), said).otherwise(F.col("f")).alias("f"))
     kinds = facts.select("k", F.transform("f", lambda x: F.struct(line_kind(x).alias("kind"), x["t"].rlike(PUNCTUATED).alias("ended"), x.alias("f"))).alias("l"))
     return _summarise(kinds)
 
@@ -165,95 +165,117 @@ def _summarise(kinds: DataFrame) -> DataFrame:
     total = lambda which: F.aggregate(F.filter("l", which), F.lit(0), lambda a, x: a + ink(x))
     add = lambda name: F.aggregate("l", F.lit(0), lambda a, x: a + x["f"][name])
     first = F.element_at("l", 1)
-    heading = (F.size("l") > 1) & ~first["ended"] & first["kind"].isin("prose", "bare")
+    heading = (F.size("l") > 1) & ~first["ended"] & first["kind"].isin("open", "bare")
     heading = heading | ((F.size("l") > 1) & first["f"]["t"].rlike(r"(?i)^\s*(?:table|figure|fig\.|表|图)\s*\d+"))
     bare = F.size(F.filter("l", lambda x: x["kind"] == "bare"))
     bare_ink = total(lambda x: x["kind"] == "bare")
     head = F.when(heading, ink(first)).otherwise(0)
-    # three or more short unended lines are items; fewer are headings
+    # three or more different short unended lines are items; fewer are headings
     bare_left = bare_ink - F.when(heading & (first["kind"] == "bare"), head).otherwise(0)
-    items = bare - F.when(heading & (first["kind"] == "bare"), 1).otherwise(0) >= 3
+    different = F.size(F.array_distinct(F.transform(F.filter("l", lambda x: x["kind"] == "bare"), lambda x: F.trim(x["f"]["t"]))))
+    items = (bare - F.when(heading & (first["kind"] == "bare"), 1).otherwise(0) >= 3) & (different * 3 > bare)
+    copies = F.size("l") - F.size(F.array_distinct(F.transform("l", lambda x: F.trim(x["f"]["t"]))))
     out = kinds.select(
         "k",
-        add("han").alias("han"), add("n").alias("n"), add("blank").alias("blank"), add("digits").alias("digits"), add("symbols").alias("symbols"),
+        add("han").alias("han"), add("n").alias("n"), add("blank").alias("blank"), add("digits").alias("digits"), add("stops").alias("stops"), add("symbols").alias("symbols"),
         add("tokens").alias("tokens"), add("words").alias("words"), add("common").alias("common"), add("common_zh").alias("common_zh"), add("long").alias("long"),
-        F.size("l").alias("lines"), F.size(F.filter("l", lambda x: x["ended"])).alias("ended"), head.alias("head"),
-        (total(lambda x: x["kind"] == "prose") - F.when(heading & (first["kind"] == "prose"), head).otherwise(0)).alias("prose_chars"),
+        F.size("l").alias("lines"), total(lambda x: x["ended"]).alias("ended"), head.alias("head"), add("misread").alias("misread"),
+        (copies / F.size("l")).alias("copies"), total(lambda x: x["f"]["t"].rlike(REPEATED)).alias("repeated"),
+        (total(lambda x: x["kind"] == "open") - F.when(heading & (first["kind"] == "open"), head).otherwise(0) + F.when(items, 0).otherwise(bare_left)).alias("open_chars"),
         (total(lambda x: x["kind"] == "list") + F.when(items, bare_left).otherwise(0)).alias("list_chars"),
         total(lambda x: x["kind"] == "table").alias("table_chars"),
         total(lambda x: x["kind"] == "junk").alias("junk_chars"),
     )
     ink_all = (F.col("n") - F.col("blank")).alias("ink")
     zh = F.col("han") * 4 >= ink_all
-    counted = F.col("prose_chars") + F.col("list_chars") + F.col("table_chars") + F.col("junk_chars")
-    units = F.when(zh, F.col("han") + F.col("tokens")).otherwise(F.col("tokens"))
-    kind = (
-        F.when(F.col("prose_chars") * 2 >= counted, "prose")
-        .when((F.col("junk_chars") >= F.col("table_chars")) & (F.col("junk_chars") >= F.col("list_chars")), "junk")
-        .when(F.col("table_chars") >= F.col("list_chars"), "table").otherwise("list")
-    )
+    length = F.when(zh, sum(((F.col("n") - F.col("blank") > n).cast("int") for n in LENGTHS["zh"]), F.lit(0))).otherwise(sum(((F.col("n") - F.col("blank") > n).cast("int") for n in LENGTHS["en"]), F.lit(0)))
+    formed = F.greatest("junk_chars", "table_chars", "list_chars")
+    form = F.when(F.col("open_chars") >= F.col("junk_chars") + F.col("table_chars") + F.col("list_chars"), "open").when(F.col("junk_chars") == formed, "junk").when(F.col("table_chars") == formed, "table").otherwise("list")
     return out.select(
         "k",
         F.when(zh, "zh").otherwise("en").alias("language"),
-        kind.alias("kind"),
-        F.log1p(units.cast("double")).alias("log_words"),
-        F.least(_share(ink_all, F.col("tokens")), F.lit(200.0)).alias("mean_word_length"),
+        length.alias("length"),
+        form.alias("form"),
+        _share(F.col("stops"), ink_all).alias("punctuation_ratio"),
+        F.when(zh, 0.0).otherwise(F.log1p(_share(ink_all, F.col("tokens")))).alias("mean_word_length"),
         _share(F.col("symbols"), ink_all).alias("symbol_ratio"),
         _share(F.col("digits"), ink_all).alias("digit_ratio"),
-        _share(F.col("ended"), F.col("lines")).alias("ended_line_share"),
+        _share(F.col("ended"), ink_all).alias("ended_share"),
         F.when(zh, _share(F.col("common_zh"), F.col("han"))).otherwise(_share(F.col("common"), F.col("tokens"))).alias("common_word_share"),
-        _share(F.col("list_chars"), counted).alias("list_share"),
-        _share(F.col("table_chars"), counted).alias("table_share"),
-        _share(F.col("junk_chars"), counted).alias("junk_share"),
+        F.when(zh, _share(F.col("han"), ink_all)).otherwise(_share(F.col("words"), F.col("tokens"))).alias("word_share"),
+        F.greatest("copies", _share(F.col("repeated"), ink_all)).alias("repeated_share"),
+        _share(F.col("misread"), ink_all).alias("misread_ratio"),
         F.when(zh, 0.0).otherwise(_share(F.col("long"), ink_all)).alias("long_token_share"),
-        "prose_chars", "list_chars", "table_chars", "junk_chars",
+        "open_chars", "list_chars", "table_chars", "junk_chars",
     )
 
 
-def _fit(profiles: DataFrame, which: Column) -> dict[str, tuple[list, list]]:
-    """Mean and inverse covariance of the chosen rows, by language; one row a language reaches the driver."""
+def _start(profiles: DataFrame) -> dict[tuple, tuple[list, list]]:
+    """Medians, and inverse squares of the scaled median deviations, of a language for all its lengths; one row a language reaches the driver."""
+    p = range(len(STATISTICS))
+    median = lambda c: F.percentile_approx(c, 0.5, 1000)
+    mid = profiles.groupBy("language").agg(*[median(s).alias(f"m{i}") for i, s in enumerate(STATISTICS)])
+    away = profiles.join(F.broadcast(mid), "language").groupBy("language")
+    away = away.agg(*[F.first(f"m{i}").alias(f"m{i}") for i in p], *[median(F.abs(F.col(STATISTICS[i]) - F.col(f"m{i}"))).alias(f"d{i}") for i in p])
+    out = {}
+    for r in away.collect():
+        scale = np.diag([1.0 / ((1.4826 * r[f"d{i}"]) ** 2 + SPREAD[i] ** 2) for i in p]).tolist()
+        out |= {(r["language"], n): ([float(r[f"m{i}"]) for i in p], scale) for n in range(len(LENGTHS[r["language"]]) + 1)}
+    return out
+
+
+def _fit(profiles: DataFrame) -> tuple[tuple, dict[tuple, tuple[list, list]]]:
+    """(mark of the rows, mean and inverse covariance) by language and length; one row a class reaches the driver."""
     p = len(STATISTICS)
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     sums = [F.sum(s).alias(f"s{i}") for i, s in enumerate(STATISTICS)]
     sums += [F.sum(F.col(STATISTICS[i]) * F.col(STATISTICS[j])).alias(f"c{i}_{j}") for i, j in pairs]
-    out = {}
-    for r in profiles.where(which).groupBy("language").agg(F.count("*").alias("rows"), *sums).collect():
+    out, rows, mark = {}, 0, 0
+    found = profiles.groupBy("language", "length").agg(F.count("*").alias("rows"), F.sum(F.xxhash64("k").cast("decimal(38,0)")).alias("mark"), *sums)
+    for r in found.collect():
         n = r["rows"]
+        rows, mark = rows + n, mark + r["mark"]
         mean = np.array([r[f"s{i}"] for i in range(p)], float) / n
-        cov = np.zeros((p, p))
+        cov = np.diag(np.square(SPREAD))
         for i, j in pairs:
-            cov[i, j] = cov[j, i] = r[f"c{i}_{j}"] / n - mean[i] * mean[j]
-        out[r["language"]] = [float(x) for x in mean], np.linalg.inv(cov + RIDGE * np.eye(p)).tolist()
-    return out
+            c = r[f"c{i}_{j}"] / n - mean[i] * mean[j]
+            cov[i, j] += c
+            cov[j, i] = cov[i, j]
+        if n > p:  # fewer do not span a covariance; the medians stay
+            out[r["language"], r["length"]] = [float(x) for x in mean], np.linalg.inv(cov).tolist()
+    return (rows, mark), out
 
 
-def _distance(fits: dict) -> tuple[Column, list[Column]]:
-    """Squared distance, and the part of each statistic in it (the parts sum up to it)."""
-    parts = []
-    for i, s in enumerate(STATISTICS):
-        cases = ""
-        for language, (mean, inverse) in sorted(fits.items()):
-            row = " + ".join(f"({q} - {mean[j]!r}D) * {inverse[i][j]!r}D" for j, q in enumerate(STATISTICS))
-            cases += f" WHEN language = '{language}' THEN ({s} - {mean[i]!r}D) * ({row})"
-        parts.append(f"(CASE{cases} END)" if cases else "CAST(NULL AS DOUBLE)")
-    return F.expr(" + ".join(parts)), [F.expr(x) for x in parts]
+def _distance(profiles: DataFrame, fits: dict) -> DataFrame:
+    """Profiles with ``parts``, the part of each statistic in the squared distance (null without a fit), and ``distance``, their sum."""
+    if not fits:
+        return profiles.withColumn("parts", F.lit(None).cast("array<double>")).withColumn("distance", F.lit(None).cast("double"))
+    numbers = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
+    table = F.create_map(*[x for (language, n), (mean, inverse) in sorted(fits.items()) for x in (F.lit(f"{language}{n}"), F.struct(numbers(mean).alias("mean"), F.array(*map(numbers, inverse)).alias("inverse")))])
+    out = profiles.withColumn("_fit", F.element_at(table, F.concat("language", F.col("length").cast("string"))))
+    out = out.withColumn("_off", F.zip_with(F.array(*STATISTICS), "_fit.mean", lambda x, m: x - m))
+    dot = lambda row: F.aggregate(F.zip_with(row, "_off", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    out = out.withColumn("parts", F.zip_with("_off", F.transform("_fit.inverse", dot), lambda x, y: x * y))
+    return out.withColumn("distance", F.aggregate("parts", F.lit(0.0), lambda t, x: t + x)).drop("_fit", "_off")
 
 
 def outlierness(texts: DataFrame, key: str, column: str, common: DataFrame) -> DataFrame:
-    """(key, language, kind, statistics, distance, outlier, part_<statistic>...) of every text with content.
+    """(key, language, length, form, statistics, distance, outlier, part_<statistic>..., kind) of every text with content.
 
-    The first fit takes the documents whose lines are prose, the next ones those within the 0.975 bound of
-    the fit before; ``outlier`` is beyond the 0.999 bound. A language without a prose document has null
-    distances and counts as outlying.
+    The first fit takes medians and median deviations of all documents, the next ones the documents within the 0.975
+    bound of the fit before, until these are the same ones; ``outlier`` is beyond the 0.999 bound. ``kind`` is the form
+    of most characters where they have one; open text is junk if it is an outlier, else prose.
     """
     keep = Scratch(texts.sparkSession, "quality")
     profiles = keep.cut(profile(texts, key, column, common), "profiles")
-    fits = _fit(profiles, F.col("kind") == "prose")
-    for _ in range(ROUNDS):
-        if not fits:
+    fits, before = _start(profiles), set()
+    while fits:
+        rows, new = _fit(_distance(profiles, fits).where(F.col("distance") <= TRIM))
+        if rows in before:  # stable, or a choice that was there before
             break
-        inside = _distance(fits)[0] <= TRIM
-        fits = fits | _fit(profiles, inside)
-    total, parts = _distance(fits)
-    named = [x.alias(f"part_{s}") for x, s in zip(parts, STATISTICS)]
-    return profiles.select("*", total.alias("distance"), (F.coalesce(total, F.lit(float("inf"))) > BOUND).alias("outlier"), *named).withColumnRenamed("k", key)
+        before.add(rows)
+        fits = fits | new
+    named = [F.col("parts")[i].alias(f"part_{s}") for i, s in enumerate(STATISTICS)]
+    far = _distance(profiles, fits).withColumn("outlier", F.coalesce("distance", F.lit(float("inf"))) > BOUND).select("*", *named).drop("parts")
+    kind = F.when(F.col("form") != "open", F.col("form")).when(F.col("outlier"), "junk").otherwise("prose")
+    return far.withColumn("kind", kind).withColumnRenamed("k", key)

@@ -107,7 +107,7 @@ def p9_quality(spark, d):
 
 def p9_found(spark, d):
     far = quality.outlierness(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "common_words"))
-    return far.where("outlier AND kind <> 'prose'").select("doc_id", "kind")
+    return far.where("kind <> 'prose'").select("doc_id", "kind")
 
 
 QUERIES = {f.__name__: f for f in (p1_canonical, p1_found, p2_normalized, p2_found, p3_entities, p3_found, p4_links, p4_found, p5_found, p6_neighbours, p6_found, p7_ids, p8_packing, p9_quality, p9_found)}
