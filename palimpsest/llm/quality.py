@@ -175,12 +175,13 @@ def _summarise(kinds: DataFrame) -> DataFrame:
     different = F.size(F.array_distinct(F.transform(F.filter("l", lambda x: x["kind"] == "bare"), lambda x: F.trim(x["f"]["t"]))))
     items = (bare - F.when(heading & (first["kind"] == "bare"), 1).otherwise(0) >= 3) & (different * 3 > bare)
     copies = F.size("l") - F.size(F.array_distinct(F.transform("l", lambda x: F.trim(x["f"]["t"]))))
+    again = lambda t: F.position(F.substring(t, 1, 3), t, F.lit(4)) > 0  # noqa: E731  # spares most lines the search for a repeated unit
     out = kinds.select(
         "k",
         add("han").alias("han"), add("n").alias("n"), add("blank").alias("blank"), add("digits").alias("digits"), add("stops").alias("stops"), add("symbols").alias("symbols"),
         add("tokens").alias("tokens"), add("words").alias("words"), add("common").alias("common"), add("common_zh").alias("common_zh"), add("long").alias("long"),
         F.size("l").alias("lines"), total(lambda x: x["ended"]).alias("ended"), head.alias("head"), add("misread").alias("misread"),
-        (copies / F.size("l")).alias("copies"), total(lambda x: x["f"]["t"].rlike(REPEATED)).alias("repeated"),
+        (copies / F.size("l")).alias("copies"), total(lambda x: again(F.trim(x["f"]["t"])) & x["f"]["t"].rlike(REPEATED)).alias("repeated"),
         (total(lambda x: x["kind"] == "open") - F.when(heading & (first["kind"] == "open"), head).otherwise(0) + F.when(items, 0).otherwise(bare_left)).alias("open_chars"),
         (total(lambda x: x["kind"] == "list") + F.when(items, bare_left).otherwise(0)).alias("list_chars"),
         total(lambda x: x["kind"] == "table").alias("table_chars"),
@@ -211,16 +212,16 @@ def _summarise(kinds: DataFrame) -> DataFrame:
 
 
 def _start(profiles: DataFrame) -> dict[tuple, tuple[list, list]]:
-    """Medians, and inverse squares of the scaled median deviations, of a language for all its lengths; one row a language reaches the driver."""
-    p = range(len(STATISTICS))
+    """Medians, and inverse squares of the scaled median deviations, of a language for all its lengths; one row a language and statistic reaches the driver."""
+    long = profiles.select("language", F.posexplode(F.array(*STATISTICS)).alias("i", "x"))
     median = lambda c: F.percentile_approx(c, 0.5, 1000)
-    mid = profiles.groupBy("language").agg(*[median(s).alias(f"m{i}") for i, s in enumerate(STATISTICS)])
-    away = profiles.join(F.broadcast(mid), "language").groupBy("language")
-    away = away.agg(*[F.first(f"m{i}").alias(f"m{i}") for i in p], *[median(F.abs(F.col(STATISTICS[i]) - F.col(f"m{i}"))).alias(f"d{i}") for i in p])
+    mid = long.groupBy("language", "i").agg(median("x").alias("m"))
+    away = long.join(F.broadcast(mid), ["language", "i"]).groupBy("language", "i").agg(F.first("m").alias("m"), median(F.abs(F.col("x") - F.col("m"))).alias("d"))
+    at = {(r["language"], r["i"]): (float(r["m"]), 1.0 / ((1.4826 * r["d"]) ** 2 + SPREAD[r["i"]] ** 2)) for r in away.collect()}
     out = {}
-    for r in away.collect():
-        scale = np.diag([1.0 / ((1.4826 * r[f"d{i}"]) ** 2 + SPREAD[i] ** 2) for i in p]).tolist()
-        out |= {(r["language"], n): ([float(r[f"m{i}"]) for i in p], scale) for n in range(len(LENGTHS[r["language"]]) + 1)}
+    for language in {x for x, _ in at}:
+        mean, scale = zip(*[at[language, i] for i in range(len(STATISTICS))])
+        out |= {(language, n): (list(mean), np.diag(scale).tolist()) for n in range(len(LENGTHS[language]) + 1)}
     return out
 
 
