@@ -101,26 +101,36 @@ def abstract_or_null(c: Column) -> Column:
     return F.when(F.length(collapse(c)) > 0, c)
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(c, rf"^{SPACE}|{SPACE}$", "")
+
+
 def is_placeholder_abstract(c: Column) -> Column:
-    return F.coalesce(F.lower(collapse(c)).isin(*PLACEHOLDER_ABSTRACTS), F.lit(False))
+    return F.coalesce(F.lower(strip(c)).isin(*PLACEHOLDER_ABSTRACTS), F.lit(False))
 
 
 def paper_text(title: Column, abstract: Column) -> Column:
-    """Model input of a paper; null where the title is blank."""
-    t, a = F.trim(lines(title)), F.trim(lines(abstract))
+    """Model input of a paper; null (refused) where the title is blank or the abstract says that there is none."""
+    t, a = strip(lines(title)), strip(lines(abstract))
     body = F.concat(F.lit("title:\n"), t, F.when(F.length(a) > 0, F.concat(F.lit("\n\nabstract:\n"), a)).otherwise(""))
-    return F.when(F.length(t) > 0, body)
+    return F.when((F.length(t) > 0) & ~is_placeholder_abstract(a), body)
 
 
 def query_text(question: Column) -> Column:
-    q = F.trim(lines(question))
+    q = strip(lines(question))
     return F.when(F.length(q) > 0, F.concat(F.lit("query:\n"), q))
 
 
 def source_hash(title: Column, abstract: Column) -> Column:
-    """Hash of title and abstract as compact JSON with sorted keys; a null abstract counts as null, not as absent."""
-    unix = lambda c: F.replace(lines(c), F.lit("\r"), F.lit("\n"))
-    return F.sha2(F.to_json(F.struct(unix(abstract).alias("abstract"), unix(title).alias("title")), {"ignoreNullFields": "false"}), 256)
+    """Hash of title and abstract as compact JSON with sorted keys; a null abstract counts as null, not as absent.
+
+    Null (refused) where the title is null or either text is given but blank.
+    """
+    unix = lambda c: strip(F.replace(lines(c), F.lit("\r"), F.lit("\n")))
+    t, a = unix(title), unix(abstract)
+    digest = F.sha2(F.to_json(F.struct(a.alias("abstract"), t.alias("title")), {"ignoreNullFields": "false"}), 256)
+    return F.when((F.length(t) > 0) & (a.isNull() | (F.length(a) > 0)), digest)
 
 
 def hashed_vector(text: Column, salt: str, dimensions: int = 16) -> Column:

@@ -50,8 +50,9 @@ def coalesce_observations(papers: DataFrame) -> DataFrame:
     """
     known = papers.where("paper_id IS NOT NULL")
     shown = F.to_json(F.struct(*[F.col(c) for c in sorted(FIELDS) if c in papers.columns]), {"ignoreNullFields": "false"})
-    n = normalise(known).withColumn("_abstract", X.fold("abstract"))
-    said = F.to_json(F.struct("source", F.coalesce("carxiv", "source_id").alias("sid"), "ntitle", "_abstract", "nauthors", "year", "cdoi", "url", "language", "user_visible"))
+    n = normalise(known).withColumn("_abstract", X.fold("abstract")).withColumn("_source", X.fold("source")).withColumn("_language", X.fold("language"))
+    n = n.withColumn("_sid", F.coalesce("carxiv", X.compatible("source_id"))).withColumn("_url", X.compatible("url"))
+    said = F.to_json(F.struct("_source", "_sid", "ntitle", "_abstract", "nauthors", "year", "cdoi", "_url", "_language", "user_visible"))
     rows = n.withColumn("_shown", shown).withColumn("_said", F.xxhash64(said))
     keep = [c for c in papers.columns if c not in ("paper_id", "retrieval_paths")]
     return rows.groupBy("paper_id").agg(

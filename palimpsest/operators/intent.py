@@ -56,9 +56,9 @@ def read_candidate(answer: dict) -> Draft:
 
 
 def open_fields(draft: Draft) -> list[tuple[str, bool, float]]:
-    """(field, missing, priority) of all but the exclusions, most urgent first."""
+    """(field, missing, priority) of all but the exclusions, most urgent first; a field that is given has priority 0."""
     held = {"OBJECT": draft.object_terms, "TASK": draft.task_terms, "METHOD": draft.method_terms, "SCOPE": draft.scope_terms, "ACCEPTED_PAPER_ROLES": draft.accepted_paper_roles}
-    rows = [(f, not v, 0.65 * (not v) + 0.35 * (1 - draft.confidence.get(f, 0.5))) for f, v in held.items()]
+    rows = [(f, not v, 0.0 if v else 0.65 + 0.35 * (1 - draft.confidence.get(f, 0.5))) for f, v in held.items()]
     return sorted(rows, key=lambda r: (-r[2], INTENT_FIELDS.index(r[0])))
 
 

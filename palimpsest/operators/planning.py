@@ -85,11 +85,12 @@ def exclude(terms: DataFrame, exclusions: DataFrame) -> tuple[DataFrame, DataFra
 def gaps(fields: DataFrame) -> DataFrame:
     """(project, field, missing, priority, question) of (project, field, missing, confidence); exclusions are no gap.
 
-    priority = .65 if missing + .35 (1 - confidence), unknown confidence being .5; the three first are asked.
+    priority = .65 + .35 (1 - confidence) of a missing field, unknown confidence being .5; a field that is given has
+    priority 0 and is never asked. Of the missing ones the three first are asked.
     """
     order = F.array_position(F.array(*map(F.lit, INTENT_FIELDS)), F.col("field"))
-    pr = 0.65 * F.col("missing").cast("int") + 0.35 * (1 - F.coalesce("confidence", F.lit(0.5)))
+    pr = F.when(F.col("missing"), 0.65 + 0.35 * (1 - F.coalesce("confidence", F.lit(0.5)))).otherwise(0.0)
     w = Window.partitionBy("project").orderBy(F.desc("priority"), "pos")
     return fields.where("field <> 'EXCLUSIONS'").withColumn("priority", pr).withColumn("pos", order).withColumn("rank", F.row_number().over(w)).select(
-        "project", "field", "missing", "priority", (F.col("rank") <= 3).alias("asked")
+        "project", "field", "missing", "priority", (F.coalesce("missing", F.lit(False)) & (F.col("rank") <= 3)).alias("asked")
     )

@@ -56,22 +56,33 @@ def url_identity(spark, d):
     return table(spark, d, "paper_records").where("url IS NOT NULL").groupBy("paper_id", host.alias("host")).agg(F.count("*").alias("n"))
 
 
-TEXT_SQL = "'title:' || chr(10) || trim(replace(title, chr(13) || chr(10), chr(10))) || CASE WHEN trim(replace(coalesce(abstract, ''), chr(13) || chr(10), chr(10))) <> '' THEN chr(10) || chr(10) || 'abstract:' || chr(10) || trim(replace(abstract, chr(13) || chr(10), chr(10))) ELSE '' END"
+def stripped(sql: str) -> str:
+    """SQL that takes white space of any kind off both ends."""
+    space = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+    return f"regexp_replace({sql}, '^{space}|{space}$', '', 'g')"
 
 
-@query("embedding_text_hash", f"SELECT DISTINCT paper_id, sha256({TEXT_SQL}) AS text_sha256 FROM paper_records WHERE trim(replace(title, chr(13) || chr(10), chr(10))) <> ''")
+LINES_SQL = "replace({}, chr(13) || chr(10), chr(10))"
+TITLE_SQL, ABSTRACT_SQL = stripped(LINES_SQL.format("title")), stripped(LINES_SQL.format("coalesce(abstract, '')"))
+
+
+@query("embedding_text_hash", f"""
+SELECT DISTINCT paper_id, sha256('title:' || chr(10) || t || CASE WHEN a <> '' THEN chr(10) || chr(10) || 'abstract:' || chr(10) || a ELSE '' END) AS text_sha256
+FROM (SELECT paper_id, {TITLE_SQL} t, {ABSTRACT_SQL} a FROM paper_records) WHERE t <> '' AND lower(a) NOT IN ('no abstract', 'not provided', 'no abstract available')""")
 def embedding_text_hash(spark, d):
     body = X.paper_text(F.col("title"), F.col("abstract"))
     return table(spark, d, "paper_records").select("paper_id", F.sha2(body, 256).alias("text_sha256")).where("text_sha256 IS NOT NULL").distinct()
 
 
-@query("query_text_hash", "SELECT query_id, 'query:' || sha256('query:' || chr(10) || trim(query_text)) AS input_id FROM search_queries WHERE trim(query_text) <> ''")
+@query("query_text_hash", f"SELECT query_id, 'query:' || sha256('query:' || chr(10) || q) AS input_id FROM (SELECT query_id, {stripped(LINES_SQL.format('query_text'))} q FROM search_queries) WHERE q <> ''")
 def query_text_hash(spark, d):
     body = X.query_text(F.col("query_text"))
     return table(spark, d, "search_queries").where(body.isNotNull()).select("query_id", F.concat(F.lit("query:"), F.sha2(body, 256)).alias("input_id"))
 
 
-@query("source_text_hash")
+@query("source_text_hash", f"""
+SELECT DISTINCT paper_id, CASE WHEN t <> '' AND coalesce(a <> '', true) THEN sha256(json_object('abstract', a, 'title', t)::VARCHAR) END AS source_text_sha256
+FROM (SELECT paper_id, {stripped("replace(" + LINES_SQL.format("title") + ", chr(13), chr(10))")} t, {stripped("replace(" + LINES_SQL.format("abstract") + ", chr(13), chr(10))")} a FROM paper_records)""")
 def source_text_hash(spark, d):
     return table(spark, d, "paper_records").select("paper_id", X.source_hash(F.col("title"), F.col("abstract")).alias("source_text_sha256")).distinct()
 

@@ -124,9 +124,9 @@ def budgeted_scan(spark, d):
 
 
 @query("intent_gaps_top3", f"""
-SELECT project, field, round(priority, 6) AS priority, row_number() OVER (PARTITION BY project ORDER BY priority DESC, pos) <= 3 AS asked
-FROM (SELECT *, 0.65::DOUBLE * missing + 0.35::DOUBLE * (1 - confidence) priority FROM (SELECT user_id project, CASE event_type WHEN 'signup' THEN 'OBJECT' WHEN 'view' THEN 'TASK' WHEN 'click' THEN 'METHOD' WHEN 'error' THEN 'SCOPE' ELSE 'ACCEPTED_PAPER_ROLES' END field,
-  CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 WHEN 'error' THEN 4 ELSE 5 END pos, (min(value) < 3)::INT missing, least(1.0, max(value) / 100.0) confidence FROM events GROUP BY ALL))""")
+SELECT project, field, round(priority, 6) AS priority, missing AND row_number() OVER (PARTITION BY project ORDER BY priority DESC, pos) <= 3 AS asked
+FROM (SELECT *, CASE WHEN missing THEN 0.65::DOUBLE + 0.35::DOUBLE * (1 - confidence) ELSE 0 END priority FROM (SELECT user_id project, CASE event_type WHEN 'signup' THEN 'OBJECT' WHEN 'view' THEN 'TASK' WHEN 'click' THEN 'METHOD' WHEN 'error' THEN 'SCOPE' ELSE 'ACCEPTED_PAPER_ROLES' END field,
+  CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 WHEN 'error' THEN 4 ELSE 5 END pos, min(value) < 3 AS missing, least(1.0, max(value) / 100.0) confidence FROM events GROUP BY ALL))""")
 def intent_gaps_top3(spark, d):
     names = {"signup": "OBJECT", "view": "TASK", "click": "METHOD", "error": "SCOPE", "purchase": "ACCEPTED_PAPER_ROLES"}
     field = F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("event_type"))

@@ -25,12 +25,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written in the shared folder to cut lineage; they survive the loss of an executor."""
+    """Tables written in the shared folder to cut lineage; they survive the loss of an executor.
+
+    Results are read from them, so the folder stays until the driver ends, which deletes it.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        self._n = 0
+        self._n, self._marked = 0, False
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -40,6 +43,9 @@ class Scratch:
         """Write ``df`` once and go on from the files."""
         path = self.path(name)
         df.write.parquet(path)
+        if not self._marked:
+            root, fs = _hadoop(self.spark, self.root)
+            self._marked = fs.deleteOnExit(root)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

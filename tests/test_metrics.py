@@ -94,6 +94,6 @@ def test_planning(spark):
     twice = spark.createDataFrame([("1", "How can transfer learning support radiation shielding design?")], "question_id string, question string")
     assert [r.problem for r in planning.plan_violations(planning.plan(planning.intents(twice))).collect()] == ["REPEATED_TERM"]  # transfer is a bridge term, too
     g = spark.createDataFrame([("p", "OBJECT", False, 1.0), ("p", "TASK", True, None), ("p", "EXCLUSIONS", True, None), ("p", "SCOPE", False, 0.0)], "project string, field string, missing boolean, confidence double")
-    assert {r.field: round(r.priority, 6) for r in planning.gaps(g).collect()} == {"OBJECT": 0.0, "TASK": 0.825, "SCOPE": 0.35}
+    assert {r.field: round(r.priority, 6) for r in planning.gaps(g).collect()} == {"OBJECT": 0.0, "TASK": 0.825, "SCOPE": 0.0}
     kept, gone = planning.exclude(spark.createDataFrame([("p", "Graph  Search"), ("p", "graph")], "project string, term string"), spark.createDataFrame([("p", "graph search")], "project string, term string"))
     assert [r.term for r in kept.collect()] == ["graph"] and gone.count() == 1

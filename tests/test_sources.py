@@ -63,7 +63,7 @@ def test_sentences():
     said = evidence.sentences("We got 3.5 e.g. by Dr. A.B. Smith. See x.org! 完成。\n\nEnd")
     assert [s for s, _ in said] == ["We got 3.5 e.g. by Dr. A.B. Smith.", "See x.org!", "完成。", "End"] and said[1][1] == 35
     assert evidence.sentences(None) == [] and evidence.sentences(" ... ") != [None]
-    assert len(evidence.rules()) == 79 and sum(r[4] for r in evidence.rules()) == 59
+    assert len(evidence.RULES) == 79 and sum(r[4] for r in evidence.RULES) == 59
 
 
 def test_evidence(spark):
