@@ -22,6 +22,12 @@ def test_vote():
     assert vote([("a b".split(), 3.0), ("c d e".split(), 1.0), ("c d e".split(), 1.0)]) == ["a", "b"] and vote([([], 1.0)]) == []
 
 
+def test_long_texts_are_aligned_as_short_ones_are():
+    for n in (10, 2_100):  # beyond 2,000 tokens of either, texts were put one after the other
+        common = [f"w{i}" for i in range(n)]
+        assert vote([(["here", *common, "ends"], 1.0), (["there", *common, "stops"], 1.0)]) == ["here", *common, "ends"]
+
+
 def test_choice(spark):
     clusters = [
         ("one", [member("a", "good", 5, year=2021), member("b", "good", 2), member("c", "poor", 1), member("c", "poor", 1), member("d", "poor", 4, doi="n/a")]),
