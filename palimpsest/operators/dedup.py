@@ -14,6 +14,7 @@ from palimpsest.runtime import Scratch, width
 
 TITLE_JACCARD, TITLE_RATIO, AUTHOR_JACCARD, YEARS = 0.92, 0.96, 0.50, 1
 TIERS = ("EXACT_DOI", "EXACT_ARXIV_ID", "EXACT_NORMALIZED_TITLE_WITH_AUTHOR", "HIGH_TITLE_SIMILARITY_WITH_AUTHOR")
+MEET = 2048  # papers of one author that meet in one block
 FIELDS = ("source", "source_id", "title", "abstract", "authors", "year", "doi", "url", "language", "user_visible")
 
 
@@ -107,6 +108,12 @@ def merge_pairs(n: DataFrame) -> DataFrame:
     return _same(n, "cdoi").union(_same(n, "carxiv")).union(_similar_titles(n, "nauthors")).distinct()
 
 
+def close_pairs(n: DataFrame) -> DataFrame:
+    """(l, r), l < r: the pairs of ``candidate_pairs`` that more than a common author speaks for, so that they can be merged or contested."""
+    untitled = n.where("ntitle = ''")
+    return _same(n, "cdoi").union(_same(n, "carxiv")).union(_same(untitled, "nauthors", True)).union(_similar_titles(n, None)).distinct()
+
+
 def all_pairs(n: DataFrame) -> DataFrame:
     """Every pair, for small sets where each decision must be shown (quadratic by nature)."""
     ids = n.select("paper_id")
@@ -125,39 +132,80 @@ def decide(pairs: DataFrame, n: DataFrame, show_all: bool = False) -> DataFrame:
     The costly ratio is taken where the token Jaccard allows it to matter; elsewhere title_similarity is
     null, unless ``show_all``. An unknown year agrees with any; an empty title or author list is similar to nothing.
     """
-    cols = ("ntitle", "ttokens", "nauthors", "cdoi", "carxiv", "year", "language")
+    cols = ("ntitle", "nauthors", "cdoi", "carxiv", "year", "language")
     side = lambda s: n.select(F.col("paper_id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in cols])
     p = pairs.join(side("l"), "l").join(side("r"), "r")
-    p = p.withColumn("jac", X.jaccard(F.col("l_ttokens"), F.col("r_ttokens"))).withColumn("overlap", X.jaccard(F.array_distinct("l_nauthors"), F.array_distinct("r_nauthors")))
+    words = lambda c: F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.split(c, " ")))  # noqa: E731, ttokens; titles travel once
+    p = p.withColumn("jac", X.jaccard(words("l_ntitle"), words("r_ntitle"))).withColumn("overlap", X.jaccard(F.array_distinct("l_nauthors"), F.array_distinct("r_nauthors")))
     p = p.withColumn("gap", F.abs(F.col("l_year") - F.col("r_year")))
     rated = p if show_all else p.where(F.col("jac") >= TITLE_JACCARD)
     rated = rated.withColumn("ratio", sequence_ratio("l_ntitle", "r_ntitle"))
     if not show_all:
         rated = rated.unionByName(p.where(F.col("jac") < TITLE_JACCARD).withColumn("ratio", F.lit(None).cast("double")))
     same_doi, same_arxiv = F.col("l_cdoi") == F.col("r_cdoi"), F.col("l_carxiv") == F.col("r_carxiv")
+    high_title = (F.col("jac") >= TITLE_JACCARD) & (F.coalesce("ratio", F.lit(0.0)) >= TITLE_RATIO)
+    rule = _rule(same_doi, same_arxiv, F.col("l_ntitle") == F.col("r_ntitle"), high_title, F.col("l_language").eqNullSafe(F.col("r_language")))
+    return _decided(rated, rule)
+
+
+def _rule(same_doi, same_arxiv, same_title, high_title, same_language):
+    """(action, reason) of a pair with ``overlap`` of its authors and ``gap`` of its years."""
     conflict = F.coalesce((same_doi & ~same_arxiv) | (same_arxiv & ~same_doi), F.lit(False))
-    same_language = F.col("l_language").eqNullSafe(F.col("r_language"))
     year_ok = F.coalesce(F.col("gap") <= YEARS, F.lit(True))
     shared = F.col("overlap") > 0
-    high_title = (F.col("jac") >= TITLE_JACCARD) & (F.coalesce("ratio", F.lit(0.0)) >= TITLE_RATIO)
     high_author = F.col("overlap") >= AUTHOR_JACCARD
     verdict = lambda action, reason: F.struct(F.lit(action).alias("action"), F.lit(reason).alias("reason"))
-    rule = (
+    return (
         F.when(conflict, verdict("manual_review", "IDENTITY_CONFLICT"))
         .when(F.coalesce(same_doi, F.lit(False)), verdict("auto_merge", TIERS[0]))
         .when(F.coalesce(same_arxiv, F.lit(False)), verdict("auto_merge", TIERS[1]))
-        .when(same_language & year_ok & (F.col("l_ntitle") == F.col("r_ntitle")) & shared, verdict("auto_merge", TIERS[2]))
+        .when(same_language & year_ok & same_title & shared, verdict("auto_merge", TIERS[2]))
         .when(same_language & year_ok & high_title & high_author, verdict("auto_merge", TIERS[3]))
         .when(~same_language & (shared | high_title), verdict("manual_review", "CROSS_LANGUAGE_POSSIBLE_DUPLICATE"))
         .when((high_title & ~high_author) | (~year_ok & (shared | high_title)) | (high_author & ~high_title), verdict("manual_review", "INSUFFICIENT_EVIDENCE"))
         .otherwise(verdict("keep_separate", "INSUFFICIENT_EVIDENCE"))
     )
+
+
+def _decided(rated: DataFrame, rule) -> DataFrame:
     return rated.select(
         F.col("l").alias("left_paper_id"), F.col("r").alias("right_paper_id"), rule.alias("v"),
         F.col("ratio").alias("title_similarity"), F.col("overlap").alias("author_overlap"), F.col("gap").cast("int").alias("year_difference"),
     ).select("left_paper_id", "right_paper_id", "v.*", "title_similarity", "author_overlap", "year_difference")
 
 
+def author_decisions(n: DataFrame, close: DataFrame) -> DataFrame:
+    """Decisions, as of ``decide``, for all pairs with a common author that are not in ``close`` (l, r), a superset of those of ``close_pairs``.
+
+    These can only be reviewed or kept apart, by authors, years and languages. They grow with the square of an
+    author's papers, so none is shuffled or written here: papers meet at each author, a pair counts at the least of its
+    common authors, and each paper brings along the later ones it is close to. Papers of a frequent author meet in blocks.
+    """
+    spark = n.sparkSession
+    known = close.groupBy("l").agg(F.collect_list("r").alias("known")).withColumnRenamed("l", "id")
+    codes = F.array_distinct(F.transform("nauthors", lambda a: F.xxhash64(a)))
+    one = n.where("size(nauthors) > 0").select(F.col("paper_id").alias("id"), codes.alias("by"), "year", "language")
+    one = one.join(known, "id", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
+    met = one.select(F.explode("by").alias("a"), "*")
+    sizes = one.select(F.explode("by").alias("a")).groupBy("a").agg(F.ceil(F.count("*") / MEET).cast("int").alias("parts")).where("parts > 1")
+    met = met.join(F.broadcast(sizes), "a", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    met = met.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
+    met = met.select("a", "i", "j", "part", "id", "by", "year", "language", "known").repartition(4 * width(spark), "a", "i", "j")
+    at = ["a", "i", "j"]
+    side = lambda s: met.select(*at, *[F.col(c).alias(f"{s}{x}") for c, x in (("id", ""), ("part", "_part"), ("by", "_by"), ("year", "_year"), ("language", "_language"), ("known", "_known"))])
+    common = F.array_intersect("l_by", "r_by")
+    pairs = side("l").join(side("r"), at).where("l < r AND (i = j OR l_part <> r_part)").where(F.array_min(common) == F.col("a"))
+    pairs = pairs.where(~F.array_contains("l_known", F.col("r")) & ~F.array_contains("r_known", F.col("l")))
+    shared = F.size(common)
+    rated = pairs.select(
+        "l", "r", F.lit(None).cast("double").alias("ratio"), (shared / (F.size("l_by") + F.size("r_by") - shared)).alias("overlap"),
+        F.abs(F.col("l_year") - F.col("r_year")).alias("gap"), F.col("l_language").eqNullSafe(F.col("r_language")).alias("same_language"),
+    )
+    no = F.lit(False)
+    return _decided(rated, _rule(no, no, no, no, F.col("same_language")))
+
+
 def components(edges: DataFrame, keep: Scratch) -> DataFrame:
     """(id, comp): least id of everything linked through (l, r); labels spread and jump until none changes."""
     both = edges.select(F.col("l").alias("u"), F.col("r").alias("v")).union(edges.select("r", "l")).distinct()
@@ -220,9 +268,21 @@ def cluster(papers: DataFrame, pairs=merge_pairs, show_all: bool = False) -> tup
     one task each: the guards look at every pair inside, and such pairs exist, so a component of n papers has
     at least n - 1 and at most n(n - 1)/2 rows.
     """
+    return _cluster(papers, pairs, show_all)[1:]
+
+
+def all_decisions(papers: DataFrame) -> DataFrame:
+    """The decisions of ``cluster`` for all pairs of ``candidate_pairs``; those that only an author speaks for come straight from their join."""
+    n, _, close = _cluster(papers, close_pairs, False)
+    return close.unionByName(author_decisions(n, close.select(F.col("left_paper_id").alias("l"), F.col("right_paper_id").alias("r"))))
+
+
+def _cluster(papers: DataFrame, pairs, show_all: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(papers, clusters, decisions); of an abstract the papers only keep whether it is blank, of a title its normal form."""
     spark = papers.sparkSession
     keep = Scratch(spark, "dedup")
-    n = keep.cut(normalise(coalesce_observations(papers)), "papers")
+    n = normalise(coalesce_observations(papers)).withColumn("abstract", F.substring(X.collapse(F.col("abstract")), 1, 1))
+    n = keep.cut(n.drop("title", "authors", "doi", "user_visible", "conflicting"), "papers")
     base = keep.cut(decide(pairs(n), n, show_all), "decisions")
     auto = base.where("action = 'auto_merge'")
     comp = components(auto.select(F.col("left_paper_id").alias("l"), F.col("right_paper_id").alias("r")), keep)
@@ -261,7 +321,7 @@ def cluster(papers: DataFrame, pairs=merge_pairs, show_all: bool = False) -> tup
     clusters = clusters.join(merged, "root", "left").select(
         named.alias("cluster_id"), "paper_ids", "canonical_paper_id", "retrieval_paths", "source_identities", F.coalesce("auto_merges", F.lit(0)).alias("auto_merges")
     )
-    return clusters, decisions
+    return n, clusters, decisions
 
 
 def canonical_key():

@@ -116,7 +116,7 @@ def candidate_pairs_blocked(spark, d):
 
 @query("pair_decisions")
 def pair_decisions(spark, d):
-    return dedup.cluster(records(spark, d), dedup.candidate_pairs)[1]
+    return dedup.all_decisions(records(spark, d))
 
 
 @query("paper_clusters")

@@ -90,3 +90,25 @@ def test_two_words_left_out_of_twenty_five(spark):
     rows = [paper("a", " ".join(words), ["Ada"]), paper("b", " ".join(words[:7] + words[8:19] + words[20:]), ["Ada"])]
     n = dedup.normalise(dedup.coalesce_observations(spark.createDataFrame(rows, SCHEMA)))
     assert {tuple(r) for r in dedup._similar_titles(n, None).collect()} == {("a", "b")} == {tuple(r) for r in dedup._similar_titles(n, "nauthors").collect()}
+
+
+def test_pairs_of_authors_are_decided_without_writing_them(spark, monkeypatch):
+    rng = random.Random(3)
+    titles = [None, "", "Editorial", *(f"title {i} of a work" for i in range(30))]
+    rows = [paper(f"p{i:02}", rng.choice(titles), rng.sample(["Ada", "Bo", "Cy", "Di", "Ed"], rng.randrange(4)), rng.choice([2019, 2020, 2023, None]), rng.choice([None, None, None, f"10.1000/{i // 9}"]), language=rng.choice(["en", "en", "zh"])) for i in range(70)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    expected = sorted(map(tuple, dedup.cluster(df, dedup.candidate_pairs)[1].collect()), key=str)
+    written, cut = [], dedup.Scratch.cut
+    monkeypatch.setattr(dedup.Scratch, "cut", lambda self, t, name: (out := cut(self, t, name), written.append(out.count()))[0])
+    for most in (dedup.MEET, 5):
+        monkeypatch.setattr(dedup, "MEET", most)
+        written.clear()
+        assert sorted(map(tuple, queries_of(monkeypatch, df)(spark, "").collect()), key=str) == expected
+        assert max(written) < len(expected) / 3
+
+
+def queries_of(monkeypatch, df):
+    from palimpsest.plans import papers
+
+    monkeypatch.setattr(papers, "records", lambda spark, d: df)
+    return papers.pair_decisions
